@@ -76,8 +76,8 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def learn_rules(labelled: DataFrame, label: str = "quality", bad: int = 0, bins: int = 32, most_rules: int = 16, most_conditions: int = 3, precision: float = 0.97) -> list[Rule]:
-    """Rules for rows whose label is bad. labelled: statistics with a label.
+def learn_rules(labelled: DataFrame, rows: int, label: str = "quality", bad: int = 0, bins: int = 32, most_rules: int = 16, most_conditions: int = 3, precision: float = 0.97) -> list[Rule]:
+    """Rules for rows whose label is bad. labelled: statistics with a label, of about so many rows.
 
     bins: quantiles per feature and class in the grid of thresholds.
     """
@@ -86,7 +86,8 @@ def learn_rules(labelled: DataFrame, label: str = "quality", bad: int = 0, bins:
         (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("__prune"),
         *[F.expr(e).alias(f) for f, e in FEATURES.items()],
     )
-    values = store(values, "rules-values")
+    files = max(1, rows // 200_000)  # not a file per shuffle partition
+    values = store(values.repartition(files), "rules-values")
     points = [(i + 0.5) / bins for i in range(bins)]
     grid_rows = values.groupBy("__bad").agg(*[F.percentile_approx(f, points, 10_000).alias(f) for f in FEATURES]).collect()
     if len(grid_rows) < 2:
@@ -97,7 +98,7 @@ def learn_rules(labelled: DataFrame, label: str = "quality", bad: int = 0, bins:
         return F.size(F.filter(F.array(*map(F.lit, grid[f])), lambda t: t <= F.col(f))).alias(f)
 
     cells = [cell(f) for f in FEATURES]
-    binned = store(values.select("__bad", "__prune", *cells).groupBy("__bad", "__prune", *FEATURES).agg(F.count(F.lit(1)).alias("__n")), "rules-binned")
+    binned = store(values.select("__bad", "__prune", *cells).groupBy("__bad", "__prune", *FEATURES).agg(F.count(F.lit(1)).alias("__n")).repartition(files), "rules-binned")
 
     def within(rule: list[tuple[str, bool, int]]) -> Column:
         """A condition is (feature, above, k): at least, or less than, grid value k; bins count grid values up to the value."""
@@ -164,7 +165,7 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", **learning) ->
     """
     stats = store(with_statistics(docs, text), "rules-stats")
     known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id"), "quality").distinct()
-    rules = learn_rules(stats.join(known, "doc_id"), **learning)
+    rules = learn_rules(stats.join(known, "doc_id"), known.count(), **learning)
     failed = F.expr(BASE_FAILED)
     return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules)), rules
 
