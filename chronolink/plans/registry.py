@@ -6,10 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import chronolink.operators.features
+import chronolink.operators.graph
+import chronolink.operators.history
+import chronolink.operators.ranking
+import chronolink.operators.sampling  # noqa: F401
+from chronolink.plans.relational import CATALOG, Operator, Plan, as_sql
+from chronolink.sources import tables
+
+for _name, _sql in tables.RELATIONS.items():
+    CATALOG[_name] = Operator(_name, _sql.strip())
+
+#: Operators over purchases; those over events begin with evt_.
+BUY = """
+src_profile dst_profile pair_profile item_transitions inter_event_gaps id_compaction unseen_counts id_maxima candidate_frequency row_prefix split_boundary
+asof_recency windowed_popularity hawkes_intensity pair_due transition_support bipartite_cf common_neighbors pair_count_pctile freq_trend
+temporal_features_30 tree_features_35 stat_score recent_neighbors recent_dst_neighbor
+new_links sample_queries competition_groups simple_groups uniform_negatives popularity_negatives
+minmax_rows masked_minmax hard_rules rank_scores blend_weighted blend_rank score_files_joined score_validation
+ranking_metrics metrics_by_bin model_comparison baseline_mrr pair_history
+embedding_dot lightgcn_propagate lightgcn_scores item_cosine_cf decayed_item_cf user_cf_votes basket_cooccurrence reciprocal_links
+candidate_window_freq query_group_stats oof_folds rolling_windows ppr sketch_collaborative
+""".split()
+EVENTS = """
+src_profile pair_profile inter_event_gaps item_transitions asof_recency hawkes_intensity pair_due freq_trend pair_count_pctile temporal_features_30 tree_features_35 ranking_metrics
+""".split()
+
+
+def plan(spark: SparkSession, sf_dir: str, events: bool = False) -> Plan:
+    edges = (tables.edges_evt if events else tables.edges_buy)(spark, sf_dir)
+    return Plan(spark, edges=edges, vectors=tables.vectors(spark, sf_dir))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    def query(name: str, events: bool):
+        return lambda spark, sf_dir: plan(spark, sf_dir, events)[name]
+
+    found = {"edges_buy": tables.edges_buy, "edges_evt": tables.edges_evt, "candidates": query("queries", False)}
+    found |= {n: query(n, False) for n in BUY}
+    return found | {f"evt_{n}": query(n, True) for n in EVENTS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    buy = {"edges": tables.SQL_EDGES_BUY, "vectors": tables.SQL_VECTORS}
+    evt = {"edges": tables.SQL_EDGES_EVT, "vectors": tables.SQL_VECTORS}
+    found = {"edges_buy": tables.SQL_EDGES_BUY, "edges_evt": tables.SQL_EDGES_EVT, "candidates": as_sql("queries", buy)}
+    found |= {n: as_sql(n, buy) for n in BUY}
+    return found | {f"evt_{n}": as_sql(n, evt) for n in EVENTS}
