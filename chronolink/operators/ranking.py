@@ -61,9 +61,9 @@ SELECT count(DISTINCT qid) AS n_queries, count(*) AS n_scores, min(score) AS low
        CAST(sum(CASE WHEN score IS NULL OR isnan(score) OR score < 0 OR score > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_invalid FROM {blend_weighted}
 """)
 define("positive_ranks", "SELECT qid, cand, width, min(r1) AS r1, min(r2) AS r2, min(r3) AS r3 FROM {ranked_scores} WHERE label = 1 GROUP BY qid, cand, width")
-METRICS = """count(*) AS n_queries, round(avg(1.0 / r1), 6) AS mrr, round(avg(CASE WHEN r1 <= 10 THEN 1.0 / log2(CAST(r1 + 1 AS DOUBLE)) ELSE 0.0 END), 6) AS ndcg_10,
-       round(avg(CAST(r1 AS DOUBLE)), 6) AS mean_rank, round(avg(CASE WHEN r1 <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hits_1, round(avg(CASE WHEN r1 <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5,
-       round(avg(CASE WHEN r1 <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(CASE WHEN r1 <= 20 THEN 1.0 ELSE 0.0 END), 6) AS recall_20, round(avg(CASE WHEN r1 <= 30 THEN 1.0 ELSE 0.0 END), 6) AS recall_30"""
+METRICS = """count(*) AS n_queries, round(avg(1e0 / r1), 6) AS mrr, round(avg(CASE WHEN r1 <= 10 THEN 1e0 / log2(CAST(r1 + 1 AS DOUBLE)) ELSE 0e0 END), 6) AS ndcg_10,
+       round(avg(CAST(r1 AS DOUBLE)), 6) AS mean_rank, round(avg(CASE WHEN r1 <= 1 THEN 1e0 ELSE 0e0 END), 6) AS hits_1, round(avg(CASE WHEN r1 <= 5 THEN 1e0 ELSE 0e0 END), 6) AS recall_5,
+       round(avg(CASE WHEN r1 <= 10 THEN 1e0 ELSE 0e0 END), 6) AS recall_10, round(avg(CASE WHEN r1 <= 20 THEN 1e0 ELSE 0e0 END), 6) AS recall_20, round(avg(CASE WHEN r1 <= 30 THEN 1e0 ELSE 0e0 END), 6) AS recall_30"""
 define("ranking_metrics", f"SELECT {METRICS} FROM {{positive_ranks}}")
 define("metrics_by_bin", f"""
 SELECT bin, {METRICS} FROM (
@@ -72,14 +72,14 @@ SELECT bin, {METRICS} FROM (
 """)
 define("model_comparison", """
 SELECT count(*) AS n_queries, round(avg(top1), 6) AS top1_agreement, round(avg(overlap), 6) AS top_overlap, round(avg(c), 6) AS mean_correlation FROM (
-  SELECT qid, max(CASE WHEN r1 = 1 AND r2 = 1 THEN 1.0 ELSE 0.0 END) AS top1, sum(CASE WHEN r1 <= 20 AND r2 <= 20 THEN 1.0 ELSE 0.0 END) / least(20, max(width)) AS overlap,
+  SELECT qid, max(CASE WHEN r1 = 1 AND r2 = 1 THEN 1e0 ELSE 0e0 END) AS top1, sum(CASE WHEN r1 <= 20 AND r2 <= 20 THEN 1e0 ELSE 0e0 END) / least(20, max(width)) AS overlap,
          CASE WHEN stddev_pop(s1) > 0 AND stddev_pop(s2) > 0 THEN corr(s1, s2) END AS c
   FROM {ranked_scores} GROUP BY qid) m
 """)
 define("baseline_mrr", """
-SELECT 'pair_popularity' AS feature, round(avg(1.0 / r1), 6) AS mrr FROM {positive_ranks}
-UNION ALL SELECT 'degree' AS feature, round(avg(1.0 / r2), 6) AS mrr FROM {positive_ranks}
-UNION ALL SELECT 'recency' AS feature, round(avg(1.0 / r3), 6) AS mrr FROM {positive_ranks}
+SELECT 'pair_popularity' AS feature, round(avg(1e0 / r1), 6) AS mrr FROM {positive_ranks}
+UNION ALL SELECT 'degree' AS feature, round(avg(1e0 / r2), 6) AS mrr FROM {positive_ranks}
+UNION ALL SELECT 'recency' AS feature, round(avg(1e0 / r3), 6) AS mrr FROM {positive_ranks}
 """)
 # The whole path in one: history of a pair, popularity, normalised score, rank.
 define("pair_history", """

@@ -30,7 +30,7 @@ def edges_evt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users and coded event types; few destinations, many repetitions."""
     events = read_table(spark, sf_dir, "events").select("ts", "user_id", "event_type")
     return spark.sql(
-        """SELECT e.user_id AS src, CAST(t.dst AS BIGINT) AS dst, (unix_micros(e.ts) - (SELECT min(unix_micros(ts)) FROM {events})) / 1000000 AS time
+        """SELECT e.user_id AS src, CAST(t.dst AS BIGINT) AS dst, (unix_micros(CAST(e.ts AS TIMESTAMP)) - (SELECT min(unix_micros(CAST(ts AS TIMESTAMP))) FROM {events})) / 1000000 AS time
         FROM {events} e JOIN (SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS dst FROM (SELECT DISTINCT event_type FROM {events}) d) t
         ON t.event_type = e.event_type""",
         events=events,
