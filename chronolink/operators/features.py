@@ -116,11 +116,11 @@ FROM {queries} q LEFT JOIN {transition_context} t ON t.qid = q.qid AND t.cand =
 define("temporal_raw", """
 SELECT q.qid, q.pos, q.src, q.time, q.cand, q.label,
   coalesce(p.n, 0) AS pair_count,
-  coalesce(greatest(CAST(q.time - p.last_time AS DOUBLE), 0.0), (SELECT span FROM {scales})) AS pair_age,
+  CASE WHEN p.last_time IS NULL THEN (SELECT span FROM {scales}) ELSE greatest(CAST(q.time - p.last_time AS DOUBLE), 0.0) END AS pair_age,
   coalesce(p.hawkes_f, 0.0) AS pair_hf, coalesce(p.hawkes_m, 0.0) AS pair_hm, coalesce(p.hawkes_s, 0.0) AS pair_hs, p.gap_median,
   coalesce(s.degree, 0) AS src_degree, coalesce(s.unique_dst, 0) AS src_unique,
   coalesce(d.degree, 0) AS dst_degree, coalesce(u.unique_src, 0) AS dst_unique,
-  coalesce(greatest(CAST(q.time - d.last_time AS DOUBLE), 0.0), (SELECT span FROM {scales})) AS dst_age,
+  CASE WHEN d.last_time IS NULL THEN (SELECT span FROM {scales}) ELSE greatest(CAST(q.time - d.last_time AS DOUBLE), 0.0) END AS dst_age,
   coalesce(d.recent_short, 0) AS rs, coalesce(d.recent_long, 0) AS rl,
   coalesce(d.hawkes_f, 0.0) AS dst_hf, coalesce(d.hawkes_m, 0.0) AS dst_hm, coalesce(d.hawkes_s, 0.0) AS dst_hs,
   CASE WHEN u.dst IS NULL THEN 0 ELSE 1 END AS seen,

@@ -11,6 +11,7 @@ import chronolink.operators.graph
 import chronolink.operators.history
 import chronolink.operators.ranking
 import chronolink.operators.sampling  # noqa: F401
+from chronolink.operators import learn
 from chronolink.plans.relational import CATALOG, Operator, Plan, as_sql
 from chronolink.sources import tables
 
@@ -38,12 +39,31 @@ def plan(spark: SparkSession, sf_dir: str, events: bool = False) -> Plan:
     return Plan(spark, edges=edges, vectors=tables.vectors(spark, sf_dir))
 
 
+def learned(scorer: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A scorer trained on the queries of four fifths of the sources, scoring the others'."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = plan(spark, sf_dir)
+        if scorer == "als":
+            return learn.als_factors(p["history"], p["queries"])
+        features = p["temporal_features_30"].persist()
+        part = features["qid"] % 5 == 0
+        return {"gbt": learn.gbt_ranker, "pairwise": learn.pairwise_ranker}[scorer](features.where(~part), features.where(part))
+
+    return query
+
+
+#: Without SQL: models.
+LEARNED = {"gbt_ranker": "gbt", "pairwise_lr": "pairwise", "als_graph_mf": "als"}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def query(name: str, events: bool):
         return lambda spark, sf_dir: plan(spark, sf_dir, events)[name]
 
     found = {"edges_buy": tables.edges_buy, "edges_evt": tables.edges_evt, "candidates": query("queries", False)}
     found |= {n: query(n, False) for n in BUY}
+    found |= {n: learned(s) for n, s in LEARNED.items()}
     return found | {f"evt_{n}": query(n, True) for n in EVENTS}
 
 

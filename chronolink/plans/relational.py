@@ -39,15 +39,21 @@ def define(name: str, sql: str) -> None:
 
 
 class Plan:
-    """Operators bound to DataFrames. given: the inputs by name; they come before operators of the same name."""
+    """Operators bound to DataFrames. given: the inputs by name; they come before operators of the same name.
 
-    def __init__(self, spark: SparkSession, **given: DataFrame):
-        self.spark, self._known = spark, dict(given)
+    keep: names of relations to persist when they are first read. By default none:
+    equal exchanges below several readers run once anyway.
+    """
+
+    def __init__(self, spark: SparkSession, keep: tuple[str, ...] = (), **given: DataFrame):
+        self.spark, self._keep = spark, keep
+        self._known = {n: df.persist() if n in keep else df for n, df in given.items()}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._known:
             op = CATALOG[name]
-            self._known[name] = self.spark.sql(op.sql, **{i: self[i] for i in op.inputs})
+            df = self.spark.sql(op.sql, **{i: self[i] for i in op.inputs})
+            self._known[name] = df.persist() if name in self._keep else df
         return self._known[name]
 
 
