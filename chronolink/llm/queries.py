@@ -82,7 +82,7 @@ o AS (
          coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
          sum(w) OVER (ORDER BY 3.0::DOUBLE * source_size / w, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS w_left
   FROM s),
-l AS (SELECT min(CASE WHEN (total - used) / w_left <= full_at THEN (total - used) / w_left END) AS level FROM o),
+l AS (SELECT max(CASE WHEN (total - used) / w_left <= full_at THEN (total - used) / w_left END) AS level FROM o),
 t AS (
   SELECT source, source_size, least(3.0::DOUBLE * source_size, level * w) AS target FROM o, l),
 p AS (
@@ -110,10 +110,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 
 OP9_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS at, ws FROM w WHERE len(ws) >= 50),
-h AS (SELECT doc_id, at, md5(array_to_string(ws[at:at + 49], ' ')) AS k FROM s),
+s AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS p0, ws FROM w WHERE len(ws) >= 50),
+h AS (SELECT doc_id, p0, md5(array_to_string(ws[p0:p0 + 49], ' ')) AS k FROM s),
 m AS (SELECT k, min(doc_id) AS first FROM h GROUP BY k),
-g AS (SELECT h.doc_id, list(h.at) AS starts FROM h JOIN m USING (k) WHERE h.doc_id > m.first GROUP BY h.doc_id),
+g AS (SELECT h.doc_id, list(h.p0) AS starts FROM h JOIN m USING (k) WHERE h.doc_id > m.first GROUP BY h.doc_id),
 c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(x, x + 50)) AS p FROM (SELECT doc_id, unnest(starts) AS x FROM g)) GROUP BY doc_id),
 p AS (SELECT w.doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w JOIN c USING (doc_id)),
 f AS (

@@ -255,7 +255,8 @@ def repeated_windows(docs: DataFrame, window: int = 50, batches: int = 4, text:
     for h in hits[1:]:
         shared = shared.union(h)
     bloom = spark.sparkContext.broadcast(Bloom.of(shared, "h", shared.count()))  # at most 16 MB
-    windows = store(_window_rows(source, window, bloom), "windows")
+    # read twice: computing these rows again takes less than keeping half the corpus' size on disk
+    windows = _window_rows(source, window, bloom)
     least = windows.groupBy("a", "b").agg(F.min("id").alias("least"), F.max("id").alias("most")).where(F.col("least") < F.col("most"))
     return windows.join(least.select("a", "b", "least"), ["a", "b"]).where(F.col("id") > F.col("least")).select("id", "at")
 
