@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronolink.plans.relational import define
+from chronolink.plans.relational import define, define_numbered
 
 # Spans and decay scales of the history; times are rebased to begin at 0.
 define("bounds", """
@@ -52,8 +52,8 @@ FROM (SELECT src, dst, CAST(time - lag(time) OVER (PARTITION BY src, dst ORDER B
 WHERE gap IS NOT NULL GROUP BY src, dst
 """)
 # Dictionary encoding: dense ids over the training domain; -1 for what it lacks.
-define("src_domain", "SELECT src AS raw, CAST(row_number() OVER (ORDER BY src) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT src FROM {history}) d")
-define("dst_domain", "SELECT dst AS raw, CAST(row_number() OVER (ORDER BY dst) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT dst FROM {history}) d")
+define_numbered("src_domain", "raw", "(SELECT DISTINCT src AS raw FROM {history}) d", "CAST(floor(raw / 4096) AS BIGINT)", "raw", "idx")
+define_numbered("dst_domain", "raw", "(SELECT DISTINCT dst AS raw FROM {history}) d", "CAST(floor(raw / 4096) AS BIGINT)", "raw", "idx")
 define("id_compaction", """
 SELECT e.src, e.dst, e.time, coalesce(s.idx, -1) AS src_idx, coalesce(d.idx, -1) AS dst_idx
 FROM {edges} e LEFT JOIN {src_domain} s ON e.src = s.raw LEFT JOIN {dst_domain} d ON e.dst = d.raw
@@ -64,11 +64,7 @@ SELECT CAST(sum(CASE WHEN src_idx < 0 THEN 1 ELSE 0 END) AS BIGINT) AS unseen_sr
 define("id_maxima", "SELECT max(src) AS max_src, max(dst) AS max_dst, count(*) AS n_edges, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst FROM {edges}")
 define("candidate_frequency", "SELECT cand, count(*) AS frequency FROM {queries} GROUP BY cand")
 # Prefix by share of rows after a stable sort; equal rows are interchangeable.
-define("row_prefix", """
-SELECT src, dst, time, CASE WHEN rn <= CAST(floor(0.8 * n) AS BIGINT) THEN 0 ELSE 1 END AS split
-FROM (SELECT src, dst, time, row_number() OVER (ORDER BY time, src, dst) AS rn, count(*) OVER () AS n FROM {edges}) r
-""")
-define("split_boundary", """
-SELECT CAST(min(rn) AS BIGINT) AS first_valid_row FROM (
-  SELECT split, row_number() OVER (ORDER BY time, split, src, dst) AS rn FROM {row_prefix}) r WHERE split = 1
-""")
+define_numbered("rows_in_time", "src, dst, time", "{edges} e", "CAST(floor(time / 604800) AS BIGINT)", "time, src, dst", "k")
+define("edge_count", "SELECT count(*) AS n FROM {edges}")
+define("row_prefix", "SELECT src, dst, time, k, CASE WHEN k < CAST(floor(0.8 * (SELECT n FROM {edge_count})) AS BIGINT) THEN 0 ELSE 1 END AS split FROM {rows_in_time}")
+define("split_boundary", "SELECT CAST(min(k) AS BIGINT) AS first_valid_row FROM {row_prefix} WHERE split = 1")

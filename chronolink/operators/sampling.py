@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronolink.plans.relational import define
+from chronolink.plans.relational import define, define_numbered
 
 # Links after the cutoff between known ends whose pair is new.
 define("new_links", """
@@ -13,19 +13,15 @@ ANTI JOIN {pair_counts} p ON p.src = e.src AND p.dst = e.dst
 # Positives of groups: one per new (src, dst).
 define("positives", "SELECT src, dst AS positive, min(time) AS time FROM {new_links} GROUP BY src, dst")
 # A fixed number drawn without replacement, by a scattered key; the number is the feature.
-define("sample_queries", """
-SELECT src, positive, time FROM (
-  SELECT src, positive, time, row_number() OVER (ORDER BY (src * 7919 + positive * 104729) % 1000003, src, positive) AS rn FROM {positives}) r
-WHERE rn <= 1000
-""")
+define("sample_queries", "SELECT src, positive, time FROM {positives} ORDER BY (src * 7919 + positive * 104729) % 1000003, src, positive LIMIT 1000")
 define("pool", "SELECT DISTINCT cand FROM {queries}")
 define("pool_marked", "SELECT p.cand, CASE WHEN d.dst IS NULL THEN 0 ELSE 1 END AS seen FROM {pool} p LEFT JOIN {dst_counts} d ON d.dst = p.cand")
 # Destinations that the history lacks: every offered id above the known ones.
-define("pool_unseen", "SELECT cand, row_number() OVER (ORDER BY (cand * 7919) % 10007, cand) - 1 AS k FROM {pool_marked} WHERE seen = 0")
-define("pool_seen", "SELECT cand, row_number() OVER (ORDER BY (cand * 7919) % 10007, cand) - 1 AS k FROM {pool_marked} WHERE seen = 1")
+for kind, seen in (("unseen", 0), ("seen", 1)):
+    define_numbered(f"pool_{kind}", "cand", f"{{pool_marked}} p WHERE seen = {seen}", "CAST(floor(((cand * 7919) % 10007) / 16) AS BIGINT)", "(cand * 7919) % 10007, cand", "k")
 define("pool_sizes", "SELECT CAST(sum(seen) AS BIGINT) AS n_seen, CAST(sum(1 - seen) AS BIGINT) AS n_unseen FROM {pool_marked}")
 define("slot_count", "SELECT count(*) AS n FROM {queries}")
-define("draws", "SELECT i FROM (SELECT row_number() OVER (ORDER BY cand) - 1 AS i FROM {pool_marked}) r WHERE i < 40")
+define("draws", " UNION ALL ".join(f"SELECT {i} AS i" for i in range(40)))
 # Quotas of a group of 20: 11 unseen of 19, 1 from the source's past, the rest seen; a short pool is filled from the seen one.
 define("drawn_unseen", """
 SELECT s.src, s.positive, u.cand, 0 AS kind FROM (
@@ -58,7 +54,7 @@ SELECT src, positive, cand, label, kind, CAST(row_number() OVER (PARTITION BY sr
   UNION ALL SELECT src, positive, positive AS cand, 1 AS label, 3 AS kind FROM {sample_queries}) g
 """)
 # Distinct draws from the candidate slots, weighted by frequency.
-define("slots", "SELECT cand, row_number() OVER (ORDER BY qid, pos) - 1 AS k FROM {queries}")
+define_numbered("slots", "cand, qid, pos", "{queries} q", "CAST(floor(qid / 100000000000) AS BIGINT)", "qid, pos", "k")
 define("simple_groups", """
 SELECT src, positive, cand, label FROM (
   SELECT src, positive, cand, 0 AS label, row_number() OVER (PARTITION BY src, positive ORDER BY i, cand) AS rn FROM (
@@ -73,7 +69,7 @@ SELECT src, positive, CAST(d.i AS BIGINT) AS draw,
        CASE WHEN (src * 31 + positive * 17 + d.i * 97) % (m.max_dst + 1) = positive THEN (positive + 1) % (m.max_dst + 1) ELSE (src * 31 + positive * 17 + d.i * 97) % (m.max_dst + 1) END AS cand
 FROM {positives} p CROSS JOIN {draws} d CROSS JOIN {id_maxima} m WHERE d.i < 5
 """)
-define("edge_slots", "SELECT dst, row_number() OVER (ORDER BY time, src, dst) - 1 AS k FROM {history}")
+define_numbered("edge_slots", "dst, src, time", "{history} h", "CAST(floor(time / 604800) AS BIGINT)", "time, src, dst", "k")
 define("edge_slot_count", "SELECT count(*) AS n FROM {history}")
 define("popularity_draws", "SELECT p.src, p.positive, d.i, (p.src * 7919 + p.positive * 104729 + d.i * 31337) % (SELECT n FROM {edge_slot_count}) AS k FROM {positives} p CROSS JOIN {draws} d WHERE d.i < 10")
 define("popularity_negatives", "SELECT d.src, d.positive, CAST(d.i AS BIGINT) AS draw, e.dst AS cand FROM {popularity_draws} d JOIN {edge_slots} e ON e.k = d.k")

@@ -38,6 +38,23 @@ def define(name: str, sql: str) -> None:
     CATALOG[name] = Operator(name, sql.strip())
 
 
+def define_numbered(name: str, columns: str, source: str, bucket: str, order: str, number: str) -> None:
+    """Rows of a source numbered from 0 in the order of (bucket, order), without sorting them in one task.
+
+    Rows are numbered within buckets; counts of the buckets before are added.
+    bucket must not fall as order rises; there should be many rows to a bucket.
+    """
+    define(f"{name}_dealt", f"SELECT {columns}, {bucket} AS bucket_no FROM {source}")
+    define(f"{name}_before", f"""
+SELECT bucket_no AS b, CAST(sum(n) OVER (ORDER BY bucket_no) - n AS BIGINT) AS before_n
+FROM (SELECT bucket_no, count(*) AS n FROM {{{name}_dealt}} GROUP BY bucket_no) c
+""")
+    define(name, f"""
+SELECT {columns}, before_n + row_number() OVER (PARTITION BY bucket_no ORDER BY {order}) - 1 AS {number}
+FROM {{{name}_dealt}} d JOIN {{{name}_before}} o ON o.b = d.bucket_no
+""")
+
+
 class Plan:
     """Operators bound to DataFrames. given: the inputs by name; they come before operators of the same name.
 
