@@ -99,10 +99,10 @@ FROM e
 OP2_SQL = """
 WITH v AS (
   SELECT vec_id, embedding FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 d AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         sqrt(list_sum(list_transform(list_zip(q.embedding, c.embedding), z -> (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS score
+         sqrt(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.embedding) = len(q.embedding) WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
