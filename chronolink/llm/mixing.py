@@ -89,12 +89,12 @@ def split_quotas(quotas: list[int], shards: int, seed: int = 0) -> list[list[int
     return descend(list(quotas), shards)
 
 
-def _planned(docs: DataFrame, text: str, source: str, key: str, seed: int, row: bool, bucket_rows: int) -> DataFrame:
-    """With row all columns as __row; then doc_id, source, size, source_size, target, __start, taken for every row."""
+def _planned(docs: DataFrame, text: str, source: str, key: str, seed: int, same: bool, bucket_rows: int) -> DataFrame:
+    """With same a hash of all columns as __same; then doc_id, source, size, source_size, target, __start, taken for every row."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    keep = ["__row"] if row else []
-    whole = [F.struct(*docs.columns).alias("__row")] if row else []
+    keep = ["__same"] if same else []
+    whole = [F.xxhash64(*docs.columns).alias("__same")] if same else []
     rows = docs.select(*whole, F.col(key).alias("__id"), F.col(source).alias("__source"), size.alias("__size"), order.alias("__order"))
     rows = store(rows, "mix-rows")
     n = rows.count()
@@ -149,7 +149,7 @@ def mix_documents(
     copies = F.when(F.col("__size") > 0, F.floor((F.col("taken") + F.col("__size") / 2) / F.col("__size"))).otherwise(0).cast("int")
     drawn = planned.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
     drawn = drawn.withColumn("__block", F.floor((F.col("__start") + (F.col("__copy") - 1) * F.col("source_size")) / block_words))
-    drawn = drawn.select("__row", "__nth", "__copy", "__block", F.xxhash64("__id", "__copy", F.lit(seed)).alias("__shuffled"))
+    drawn = drawn.select("__id", "__same", "__nth", "__copy", "__block", F.xxhash64("__id", "__copy", F.lit(seed)).alias("__shuffled"))
     drawn = store(drawn, "mix-drawn")
     last = drawn.groupBy("__nth").agg((F.max("__block") + 1).alias("n")).collect()
     quotas = {r[0]: r[1] for r in last}
@@ -165,10 +165,19 @@ def mix_documents(
     drawn = drawn.join(F.broadcast(plan), "__nth")  # a row per source
     permuted = F.pmod(F.col("__block") * F.col("__stride") + seed, F.col("__blocks"))
     shard = F.size(F.filter("__ends", lambda e: e <= permuted))
-    out = drawn.select("__row", "__shuffled", shard.alias("mix_shard"))
+    draws = drawn.groupBy("__id", "__same").agg(
+        F.collect_list(F.struct(shard.alias("mix_shard"), "__shuffled")).alias("__draws"), F.count_if(F.col("__copy") == 1).alias("__rows")
+    )
+    draws = store(draws, "mix-draws").withColumnsRenamed({"__id": "__draw_id", "__same": "__draw_same"})
+    rows = docs.withColumn("__same", F.xxhash64(*docs.columns))
+    if draws.where("__rows > 1").limit(1).count():  # rows that are equal in all columns are drawn together
+        rows = rows.dropDuplicates([key, "__same"])
+    out = rows.join(draws, rows[key].eqNullSafe(F.col("__draw_id")) & (F.col("__same") == F.col("__draw_same")))
+    out = out.select(*[rows[c] for c in docs.columns], F.explode("__draws").alias("__draw"))
+    out = out.select(*docs.columns, F.col("__draw.mix_shard").alias("mix_shard"), F.col("__draw.__shuffled").alias("__shuffled"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = out.repartition(parts, "mix_shard", F.pmod("__shuffled", F.lit(parts))).sortWithinPartitions("mix_shard", "__shuffled")
-    return out.select("__row.*", "mix_shard")
+    return out.drop("__shuffled")
 
 
 def _stride(blocks: int, seed: int) -> int:
