@@ -281,3 +281,57 @@ FROM (SELECT *, min(raw) OVER (PARTITION BY qid) AS lo, max(raw) OVER (PARTITION
 # --- recent neighbours before the query: 30 of the source, 1 of the candidate; missing places are null ---
 define("recent_neighbors", "SELECT qid, src, dst AS neighbor, CAST(time AS DOUBLE) AS time, CAST(rn AS BIGINT) AS place FROM {src_past} WHERE rn <= 30")
 define("recent_dst_neighbor", "SELECT cand, CAST(q_time AS DOUBLE) AS q_time, src AS neighbor, CAST(time AS DOUBLE) AS time FROM {dst_past} WHERE rn = 1")
+
+# --- the same 35 features where every query is later than all history: aggregates don't depend on the query ---
+# Sums of decays factor into exp(-q / scale) and a sum over events that is kept per pair.
+define("static_pairs", """
+SELECT src, dst, count(*) AS n, min(time) AS first_time, max(time) AS last_time, avg(gap) AS mean_gap, CASE WHEN count(gap) > 1 THEN stddev_pop(gap) ELSE 0.0 END AS std_gap,
+       sum(exp(time / (0.02 * (SELECT hi FROM {scales}) + 1))) AS up_short, sum(exp(time / (0.2 * (SELECT hi FROM {scales}) + 1))) AS up_long
+FROM (SELECT src, dst, time, CAST(time - lag(time) OVER (PARTITION BY src, dst ORDER BY time) AS DOUBLE) AS gap FROM {history}) g GROUP BY src, dst
+""")
+define("static_middles", """
+SELECT e.src, e.dst, e.time AS mid_time FROM (SELECT src, dst, time, row_number() OVER (PARTITION BY src, dst ORDER BY time) AS rn FROM {history}) e
+JOIN {static_pairs} p ON p.src = e.src AND p.dst = e.dst WHERE p.n >= 4 AND e.rn = floor(p.n / 2) + 1
+""")
+define("static_ranked", "SELECT src, dst, n, cume_dist() OVER (PARTITION BY src ORDER BY n) AS pctile FROM {static_pairs}")
+define("static_entropy", """
+SELECT p.src, -sum(CAST(p.n AS DOUBLE) / c.degree * log2(CAST(p.n AS DOUBLE) / c.degree + 1e-12)) AS entropy FROM {static_pairs} p JOIN {src_counts} c ON c.src = p.src GROUP BY p.src
+""")
+define("static_src_last", """
+SELECT src, dst AS node, min(rn) AS latest, count(CASE WHEN rn <= 10 THEN 1 END) AS in_last10 FROM (
+  SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY time DESC, dst DESC) AS rn FROM {history}) r WHERE rn <= 50 GROUP BY src, dst
+""")
+define("static_dst_last", """
+SELECT dst, src AS node, min(rn) AS latest FROM (
+  SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY time DESC, src DESC) AS rn FROM {history}) r WHERE rn <= 50 GROUP BY dst, src
+""")
+define("static_src_size", "SELECT src, count(*) AS n FROM {static_src_last} GROUP BY src")
+define("static_dst_size", "SELECT dst, count(*) AS n, count(CASE WHEN latest <= 20 THEN 1 END) AS n20 FROM {static_dst_last} GROUP BY dst")
+define("static_near", """
+SELECT a.src, a.cand, count(*) AS common, count(CASE WHEN d.latest <= 20 THEN 1 END) AS common20,
+       sum(CASE WHEN g.degree > 1 THEN 1.0 / (ln(CAST(g.degree AS DOUBLE)) + 1e-9) ELSE 0.0 END) AS adamic, sum(CASE WHEN g.degree > 1 THEN 1.0 / (g.degree + 1e-9) ELSE 0.0 END) AS allocation
+FROM {stat_asked} a JOIN {static_dst_last} d ON d.dst = a.cand JOIN {static_src_last} s ON s.src = a.src AND s.node = d.node JOIN {node_degree} g ON g.node = d.node GROUP BY a.src, a.cand
+""")
+define("static_raw", """
+SELECT q.qid, q.pos, q.src, q.cand, q.label, CAST(q.time AS DOUBLE) AS q, (SELECT hi FROM {scales}) AS hi,
+  coalesce(p.n, 0) AS pn, CAST(p.last_time AS DOUBLE) AS p_last,
+  coalesce(p.up_short * exp(-q.time / (0.02 * (SELECT hi FROM {scales}) + 1)), 0.0) AS ds, coalesce(p.up_long * exp(-q.time / (0.2 * (SELECT hi FROM {scales}) + 1)), 0.0) AS dl,
+  coalesce(p.mean_gap, 0.0) AS mean_gap, coalesce(p.std_gap, 0.0) AS std_gap,
+  CASE WHEN m.mid_time IS NULL THEN 1.0 ELSE (CAST(p.n - floor(p.n / 2) AS DOUBLE) / (q.time - m.mid_time + 1)) / (CAST(floor(p.n / 2) AS DOUBLE) / (m.mid_time - p.first_time + 1) + 1e-9) END AS trend,
+  coalesce(s.degree, 0) AS sn, coalesce(s.unique_dst, 0) AS su, CAST(s.first_time AS DOUBLE) AS s_first, CAST(s.last_time AS DOUBLE) AS s_last, coalesce(e.entropy, 0.0) AS entropy,
+  coalesce(d.degree, 0) AS dn, coalesce(d.unique_src, 0) AS du, CAST(d.first_time AS DOUBLE) AS d_first, CAST(d.last_time AS DOUBLE) AS d_last,
+  coalesce(d.unique_src, 0) AS pop, coalesce(n.common, 0) AS common, coalesce(n.common20, 0) AS common20, coalesce(n.adamic, 0.0) AS adamic, coalesce(n.allocation, 0.0) AS allocation,
+  coalesce(a.n, 0) AS near_s, coalesce(b.n, 0) AS near_d, coalesce(b.n20, 0) AS near_d20, coalesce(l.in_last10, 0) AS in10, coalesce(k.pctile, 0.0) AS pctile
+FROM {queries} q LEFT JOIN {static_pairs} p ON p.src = q.src AND p.dst = q.cand LEFT JOIN {static_middles} m ON m.src = q.src AND m.dst = q.cand
+LEFT JOIN {src_counts} s ON s.src = q.src LEFT JOIN {static_entropy} e ON e.src = q.src LEFT JOIN {dst_counts} d ON d.dst = q.cand
+LEFT JOIN {static_near} n ON n.src = q.src AND n.cand = q.cand LEFT JOIN {static_src_size} a ON a.src = q.src LEFT JOIN {static_dst_size} b ON b.dst = q.cand
+LEFT JOIN {static_src_last} l ON l.src = q.src AND l.node = q.cand LEFT JOIN {static_ranked} k ON k.src = q.src AND k.dst = q.cand
+""")
+define("tree_features_static", f"SELECT qid, pos, cand, label, {TREE_COLUMNS} FROM {{static_raw}}")
+define("temporal_precondition", "SELECT CAST((SELECT max(time) FROM {history}) AS DOUBLE) AS last_event, CAST(min(time) AS DOUBLE) AS first_query, CAST(sum(CASE WHEN time <= (SELECT max(time) FROM {history}) THEN 1 ELSE 0 END) AS BIGINT) AS n_early FROM {queries}")
+# How often a candidate is offered: overall, its place within the query, its distance to the query's commonest.
+define("candidate_distribution", """
+SELECT q.qid, q.pos, q.cand, f.frequency, CAST(row_number() OVER (PARTITION BY q.qid ORDER BY f.frequency DESC, q.pos) AS BIGINT) AS place,
+       max(f.frequency) OVER (PARTITION BY q.qid) - f.frequency AS gap, round(ln(1 + f.frequency) - ln(1 + coalesce(d.degree, 0)), 6) AS offset_to_history
+FROM {queries} q JOIN {candidate_frequency} f ON f.cand = q.cand LEFT JOIN {dst_counts} d ON d.dst = q.cand
+""")

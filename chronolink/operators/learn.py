@@ -8,6 +8,7 @@ scores are comparable in rank only.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -58,6 +59,28 @@ def als_factors(history: DataFrame, queries: DataFrame, rank: int = 16, rounds:
     return model.transform(asked).select(*KEYS, F.nanvl(F.col("prediction").cast("double"), F.lit(0.0)).alias("score"))
 
 
+def ease_scores(history: DataFrame, queries: DataFrame, most_items: int = 500, ridge: float = 50.0) -> DataFrame:
+    """qid, pos, cand, label, score by a linear item-to-item model in closed form, over the most_items commonest items.
+
+    Only their Gram matrix (most_items squared entries) reaches the driver; items beyond score 0.
+    """
+    spark = history.sparkSession
+    pairs = history.select("src", "dst").distinct()
+    top = [r[0] for r in pairs.groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(most_items).collect()]
+    at = {d: i for i, d in enumerate(top)}
+    kept = pairs.join(F.broadcast(spark.createDataFrame([(d,) for d in top], "dst long")), "dst")  # most_items rows
+    gram = np.zeros((len(top), len(top)))
+    for a, b, n in kept.alias("a").join(kept.alias("b"), "src").groupBy("a.dst", "b.dst").agg(F.count(F.lit(1))).collect():
+        gram[at[a], at[b]] = n
+    inverse = np.linalg.inv(gram + ridge * np.eye(len(top)))
+    weights = -inverse / np.diag(inverse)
+    np.fill_diagonal(weights, 0.0)
+    links = spark.createDataFrame([(top[i], top[j], float(weights[i, j])) for i in range(len(top)) for j in range(len(top)) if i != j], "dst long, cand long, w double")
+    asked = queries.select(*KEYS, "src")
+    found = asked.select("src", "cand").distinct().join(links, "cand").join(kept, ["src", "dst"]).groupBy("src", "cand").agg(F.sum("w").alias("score"))
+    return asked.join(found, ["src", "cand"], "left").select(*KEYS, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def mean_reciprocal_rank(scores: DataFrame) -> DataFrame:
     """n, mrr; ties go to the smaller position."""
     ranked = scores.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pos")))

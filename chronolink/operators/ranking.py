@@ -91,3 +91,14 @@ SELECT qid, pos, src, cand, label, pair_count, pair_recency_log, popularity, sco
     FROM {queries} q LEFT JOIN {pair_counts} p ON p.src = q.src AND p.dst = q.cand LEFT JOIN {dst_counts} d ON d.dst = q.cand) a
   WINDOW w AS (PARTITION BY qid)) b
 """)
+# Area under the ROC curve by mid-ranks, and average precision, over all candidates.
+define("score_levels", "SELECT s1, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_pos FROM {scores} GROUP BY s1")
+define("score_curve", """
+SELECT s1, n, n_pos, CAST(sum(n) OVER (ORDER BY s1 DESC) AS BIGINT) AS above, CAST(sum(n_pos) OVER (ORDER BY s1 DESC) AS BIGINT) AS pos_above,
+       CAST(sum(n) OVER () AS BIGINT) AS total, CAST(sum(n_pos) OVER () AS BIGINT) AS positives FROM {score_levels}
+""")
+define("ap_and_auc", """
+SELECT round(sum(CAST(n_pos AS DOUBLE) / positives * pos_above / above), 6) AS average_precision,
+       round(sum(CAST(n_pos AS DOUBLE) * ((total - above) - (positives - pos_above) + 0.5 * (n - n_pos))) / max(CAST(positives AS DOUBLE) * (total - positives)), 6) AS roc_auc
+FROM {score_curve}
+""")

@@ -22,10 +22,10 @@ for _name, _sql in tables.RELATIONS.items():
 BUY = """
 src_profile dst_profile pair_profile item_transitions inter_event_gaps id_compaction unseen_counts id_maxima candidate_frequency row_prefix split_boundary
 asof_recency windowed_popularity hawkes_intensity pair_due transition_support bipartite_cf common_neighbors pair_count_pctile freq_trend
-temporal_features_30 tree_features_35 stat_score recent_neighbors recent_dst_neighbor
+temporal_features_30 tree_features_35 tree_features_static temporal_precondition stat_score candidate_distribution recent_neighbors recent_dst_neighbor
 new_links sample_queries competition_groups simple_groups uniform_negatives popularity_negatives
 minmax_rows masked_minmax hard_rules rank_scores blend_weighted blend_rank score_files_joined score_validation
-ranking_metrics metrics_by_bin model_comparison baseline_mrr pair_history
+ap_and_auc ranking_metrics metrics_by_bin model_comparison baseline_mrr pair_history
 embedding_dot lightgcn_propagate lightgcn_scores item_cosine_cf decayed_item_cf user_cf_votes basket_cooccurrence reciprocal_links
 candidate_window_freq query_group_stats oof_folds rolling_windows ppr sketch_collaborative
 """.split()
@@ -46,6 +46,8 @@ def learned(scorer: str) -> Callable[[SparkSession, str], DataFrame]:
         p = plan(spark, sf_dir)
         if scorer == "als":
             return learn.als_factors(p["history"], p["queries"])
+        if scorer == "ease":
+            return learn.ease_scores(p["history"], p["queries"])
         features = p["temporal_features_30"].persist()
         part = features["qid"] % 5 == 0
         return {"gbt": learn.gbt_ranker, "pairwise": learn.pairwise_ranker}[scorer](features.where(~part), features.where(part))
@@ -54,7 +56,7 @@ def learned(scorer: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 #: Without SQL: models.
-LEARNED = {"gbt_ranker": "gbt", "pairwise_lr": "pairwise", "als_graph_mf": "als"}
+LEARNED = {"gbt_ranker": "gbt", "pairwise_lr": "pairwise", "als_graph_mf": "als", "ease_cf": "ease"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -54,6 +54,19 @@ def test_tree_features(spark):
     assert len([c for c in got[0].asDict() if c not in ("qid", "pos", "cand", "label")]) == 35
 
 
+def test_static_path_agrees_with_the_general_one(spark):
+    import random
+
+    rng = random.Random(1)
+    edges = [(rng.randint(1, 8), rng.randint(1, 9), rng.randint(0, 500)) for _ in range(400)]
+    asked = [(s, c, t) for s in range(1, 10) for c in range(1, 11) for t in (600, 900)]
+    p = plan(spark, edges, asked)
+    a, b = ({(r.qid, r.cand): r for r in p[n].collect()} for n in ("tree_features_35", "tree_features_static"))
+    assert a.keys() == b.keys() and len(a) == len(asked)
+    for k in a:
+        assert tuple(a[k]) == pytest.approx(tuple(b[k]), abs=2e-6), k
+
+
 def test_late_edges_change_nothing_before_them(spark):
     """Query-time aggregates don't see what comes after the query."""
     late = EDGES + [(1, 10, 200), (5, 10, 210), (1, 99, 220)]
@@ -78,7 +91,7 @@ def test_ties_go_to_the_smaller_position(spark):
 
 
 def test_every_query_has_sql_and_every_input_is_known():
-    assert set(queries()) - set(oracle_sql()) == {"gbt_ranker", "pairwise_lr", "als_graph_mf"}
+    assert set(queries()) - set(oracle_sql()) == {"gbt_ranker", "pairwise_lr", "als_graph_mf", "ease_cf"}
     for op in CATALOG.values():
         assert all(i in CATALOG or i in ("edges", "vectors") for i in op.inputs), op.name
     assert len(BUY) == len(set(BUY)) and set(EVENTS) <= set(BUY)

@@ -80,6 +80,9 @@ def test_learned_scorers_find_a_plain_signal(spark):
     history = spark.createDataFrame([(s, d, 0) for s in range(20) for d in range(20) if (s + d) % 2 == 0 and s != d], "src long, dst long, time long")
     asked = spark.createDataFrame([(s, 0, s, s, 0) for s in range(20)] + [(99, 0, 99, 1, 0)], "qid long, pos long, src long, cand long, label int")
     assert learn.als_factors(history, asked).where("score is null").count() == 0
+    parity = spark.createDataFrame([(s, 0, s, c, int((s + c) % 2 == 0)) for s in range(20) for c in range(20)], "qid long, pos long, src long, cand long, label int")
+    means = {r.label: r.m for r in learn.ease_scores(history, parity, ridge=5.0).groupBy("label").agg(F.avg("score").alias("m")).collect()}
+    assert means[1] > means[0]
 
 
 def test_stream_matches_batch(spark, tmp_path):
