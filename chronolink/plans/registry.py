@@ -34,9 +34,14 @@ src_profile pair_profile inter_event_gaps item_transitions asof_recency hawkes_i
 """.split()
 
 
-def plan(spark: SparkSession, sf_dir: str, events: bool = False) -> Plan:
+#: Over events, with queries inside history.
+INSIDE = "asof_recency pair_due windowed_popularity temporal_features_30 tree_features_35".split()
+
+
+def plan(spark: SparkSession, sf_dir: str, events: bool = False, inside: bool = False) -> Plan:
     edges = (tables.edges_evt if events else tables.edges_buy)(spark, sf_dir)
-    return Plan(spark, edges=edges, vectors=tables.vectors(spark, sf_dir))
+    base = Plan(spark, edges=edges, vectors=tables.vectors(spark, sf_dir))
+    return base.replaced(tables.INSIDE) if inside else base
 
 
 def learned(scorer: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -60,12 +65,13 @@ LEARNED = {"gbt_ranker": "gbt", "pairwise_lr": "pairwise", "als_graph_mf": "als"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def query(name: str, events: bool):
-        return lambda spark, sf_dir: plan(spark, sf_dir, events)[name]
+    def query(name: str, events: bool, inside: bool = False):
+        return lambda spark, sf_dir: plan(spark, sf_dir, events, inside)[name]
 
     found = {"edges_buy": tables.edges_buy, "edges_evt": tables.edges_evt, "candidates": query("queries", False)}
     found |= {n: query(n, False) for n in BUY}
     found |= {n: learned(s) for n, s in LEARNED.items()}
+    found |= {f"inside_{n}": query(n, True, True) for n in INSIDE}
     return found | {f"evt_{n}": query(n, True) for n in EVENTS}
 
 
@@ -74,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
     evt = {"edges": tables.SQL_EDGES_EVT, "vectors": tables.SQL_VECTORS}
     found = {"edges_buy": tables.SQL_EDGES_BUY, "edges_evt": tables.SQL_EDGES_EVT, "candidates": as_sql("queries", buy)}
     found |= {n: as_sql(n, buy) for n in BUY}
+    found |= {f"inside_{n}": as_sql(n, evt | tables.INSIDE) for n in INSIDE}
     return found | {f"evt_{n}": as_sql(n, evt) for n in EVENTS}

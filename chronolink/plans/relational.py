@@ -16,9 +16,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 _INPUT = re.compile(r"\{(\w+)\}")
+#: Relations of one row, and how operators read a value of them. A plan computes the row once and puts the value
+#: in as a literal; as a subquery, each reader would carry the plan of the whole edge log below it.
+ONE_ROW = ("scales", "cutoff", "pool_sizes", "slot_count", "edge_slot_count", "vector_count", "edge_count")
+_VALUE = re.compile(r"\(SELECT (\w+) FROM \{(" + "|".join(ONE_ROW) + r")\}\)")
 
 
 @dataclass(frozen=True)
@@ -64,12 +68,29 @@ class Plan:
 
     def __init__(self, spark: SparkSession, keep: tuple[str, ...] = (), **given: DataFrame):
         self.spark, self._keep = spark, keep
+        self._given, self._own = given, {}
+        self._rows: dict[str, Row] = {}
         self._known = {n: df.persist() if n in keep else df for n, df in given.items()}
 
+    def replaced(self, sql: dict[str, str]) -> Plan:
+        """The same inputs with other definitions of some operators."""
+        out = Plan(self.spark, self._keep, **self._given)
+        out._own = sql
+        return out
+
+    def _literal(self, match: re.Match) -> str:
+        column, name = match.groups()
+        if name not in self._rows:
+            self._rows[name] = self[name].first()
+        value = self._rows[name][column]
+        if value is None:
+            return "CAST(NULL AS DOUBLE)"
+        return f"CAST('{value!r}' AS DOUBLE)" if isinstance(value, float) else f"CAST({int(value)} AS BIGINT)"
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._known:
-            op = CATALOG[name]
-            df = self.spark.sql(op.sql, **{i: self[i] for i in op.inputs})
+            sql = _VALUE.sub(self._literal, self._own.get(name) or CATALOG[name].sql)
+            df = self.spark.sql(sql, **{i: self[i] for i in dict.fromkeys(_INPUT.findall(sql))})
             self._known[name] = df.persist() if name in self._keep else df
         return self._known[name]
 

@@ -50,6 +50,7 @@ HISTORY = "SELECT src, dst, time FROM {edges} WHERE time < (SELECT cutoff FROM {
 FUTURE = "SELECT src, dst, time FROM {edges} WHERE time >= (SELECT cutoff FROM {cutoff})"
 ASKED = "SELECT DISTINCT src, time FROM {future}"
 ASKED_INSIDE = "SELECT DISTINCT src, time FROM {edges} WHERE time >= (SELECT cutoff FROM {cutoff}) / 2"
+POSITIVES_INSIDE = "SELECT e.src, e.time, e.dst FROM {edges} e WHERE e.time >= (SELECT cutoff FROM {cutoff}) / 2"
 OFFERED = f"""
 SELECT src, time, dst AS cand, 1 AS label FROM {{positives_of}}
 UNION ALL SELECT a.src, a.time, (a.src * 31 + k.k * 97 + CAST(floor(a.time / 86400) AS BIGINT)) % ((SELECT max(dst) FROM {{edges}}) + 1) AS cand, 0 AS label FROM {{asked}} a CROSS JOIN {{ks}} k
@@ -68,6 +69,10 @@ RELATIONS = {
 }
 
 
+#: Queries inside history, where the strict time bound decides: the whole log is history.
+INSIDE = {"history": "SELECT src, dst, time FROM {edges}", "asked": ASKED_INSIDE, "positives_of": POSITIVES_INSIDE}
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, dim, x: the components of the embeddings table."""
     table = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
