@@ -171,8 +171,12 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", **learning) ->
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns."""
-    columns = docs.columns
-    judged, _ = judge(docs, labels, text)
-    kept = judged.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").select(*columns)
+    """The rows of docs that judge() keeps, with their columns.
+
+    The list is learned from statistics that are kept without texts; rows are
+    then judged one by one, so no text is shuffled at any size.
+    """
+    _, rules = judge(docs, labels, text)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("text"))
+    kept = with_statistics(rows, "text", keep=("__row",)).where(~F.expr(BASE_FAILED) & verdict(rules))
+    return kept.select("__row.*")

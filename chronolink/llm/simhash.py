@@ -222,6 +222,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
     columns = docs.columns
     stay = near_duplicates(docs, text, key).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     classes = store(stay.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")), "simhash-stay")
+    classes = classes.hint("merge")  # it grows with docs, so it is not broadcast at any size
     kept = docs.join(classes, docs[key].eqNullSafe(classes["component_id"]), "left_semi")
     if classes.where("n > 1").limit(1).count():  # texts move only where ids repeat
         kept = kept.dropDuplicates([key])
