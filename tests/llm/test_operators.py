@@ -185,6 +185,18 @@ def test_line_classes(spark):
     assert line_dedup.line_classes(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_short_lines_urls_and_scripts_without_blanks(spark):
+    rng = random.Random(5)
+    han = ["".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(n)) for n in range(13, 41, 3)]
+    pairs = [("Continue reading", "Continue reading."), ("Privacy Policy", "Privacy Policy."), ("https://example.com/page/12345", "https://example.com/page/12346")]
+    pairs += [("Contact us", "Contact us!"), ("aaaaaaaaaa", "a" * 30), ("abcdefabcd", "abcdef" * 4)] + [(x, x[:-1] + "\u3042") for x in han]
+    lines = [x for p in pairs for x in p]
+    root = union_find(lines, [(a, b) for i, a in enumerate(lines) for b in lines[:i] if jaccard(a, b) >= 0.8])
+    assert all(root[a] == root[b] for a, b in pairs)
+    got = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(frame(spark, list(enumerate(lines)))).collect()}
+    assert got == {i: lines.index(next(y for y in lines if root[y] == root[x])) for i, x in enumerate(lines)}
+
+
 # --- sharding ---
 def brute_pack(sizes, capacity):
     left, home = [], []
