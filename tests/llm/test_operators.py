@@ -197,6 +197,25 @@ def test_short_lines_urls_and_scripts_without_blanks(spark):
     assert got == {i: lines.index(next(y for y in lines if root[y] == root[x])) for i, x in enumerate(lines)}
 
 
+def test_lines_of_a_template_unlike_their_leader(spark):
+    rng = random.Random(6)
+    head = prose(rng, 12)
+    lines = [x for k in range(30) for own in [prose(rng, rng.randint(3, 5))] for x in (f"{head} {own}", f"{head} {own[:-4]}{rng.randint(1000, 9999)}")]
+    root = union_find(lines, [(a, b) for i, a in enumerate(lines) for b in lines[:i] if jaccard(a, b) >= 0.8])
+    wide = spark.createDataFrame([(i, f"{i:03d}") for i in range(40)], "id long, line string").withColumn("sketch", F.array(F.lit(1), F.lit(2)).cast("array<long>"))
+    pairs = line_dedup._pairs(line_dedup._bands(wide)).cache()
+    # one band: its smallest is like 1 to 9 only; the others are like the one before them
+    near = lambda p: p.where("(a = 0 and b < 10) or (a > 0 and b = a + 1)").select("a", "b")
+    kept, line_dedup._verified = line_dedup._verified, lambda p, _: near(p)
+    try:
+        found = {r.node: r.component for r in line_dedup._all_links(wide, pairs, near(pairs), wide).collect()}
+    finally:
+        line_dedup._verified = kept
+    assert found == dict.fromkeys(range(40), 0)
+    got = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(frame(spark, list(enumerate(lines)))).collect()}
+    assert got == {i: lines.index(next(y for y in lines if root[y] == root[x])) for i, x in enumerate(lines)}
+
+
 # --- sharding ---
 def brute_pack(sizes, capacity):
     left, home = [], []
