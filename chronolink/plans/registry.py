@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import chronolink.operators.features
 import chronolink.operators.graph
@@ -44,6 +45,11 @@ def plan(spark: SparkSession, sf_dir: str, events: bool = False, inside: bool =
     return base.replaced(tables.INSIDE) if inside else base
 
 
+def judged(src: Column) -> Column:
+    """One fifth of the sources, by hash; the rankers learn on the others."""
+    return F.pmod(F.xxhash64(src), F.lit(5)) == 0
+
+
 def learned(scorer: str) -> Callable[[SparkSession, str], DataFrame]:
     """A scorer trained on the queries of four fifths of the sources, scoring the others'."""
 
@@ -53,9 +59,10 @@ def learned(scorer: str) -> Callable[[SparkSession, str], DataFrame]:
             return learn.als_factors(p["history"], p["queries"])
         if scorer == "ease":
             return learn.ease_scores(p["history"], p["queries"])
-        features = p["temporal_features_30"].persist()
-        part = features["qid"] % 5 == 0
-        return {"gbt": learn.gbt_ranker, "pairwise": learn.pairwise_ranker}[scorer](features.where(~part), features.where(part))
+        of = p["queries"].select("qid", "src").distinct()
+        features = p["temporal_features_30"].join(of, "qid").withColumn("__asked", judged(F.col("src"))).drop("src").persist()
+        part = F.col("__asked")
+        return {"gbt": learn.gbt_ranker, "pairwise": learn.pairwise_ranker}[scorer](features.where(~part).drop("__asked"), features.where(part).drop("__asked"))
 
     return query
 

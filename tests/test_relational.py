@@ -117,6 +117,23 @@ def test_agrees_with_duckdb(spark, name):
     assert tidy(tuple(r[c] for c in columns) for r in got.collect()) == tidy(want.select(*columns).fetchall())
 
 
+@pytest.mark.parametrize("name", ["gbt_ranker", "pairwise_lr"])
+def test_registered_rankers_learn_on_other_sources(spark, monkeypatch, name):
+    import os
+
+    from chronolink.operators import learn
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    parts = []
+    monkeypatch.setattr(learn, {"gbt_ranker": "gbt_ranker", "pairwise_lr": "pairwise_ranker"}[name], lambda train, test: parts.append((train, test)))
+    queries()[name](spark, sf)
+    sources = [{r.qid // 1000000000 for r in x.select("qid").distinct().collect()} for x in parts[0]]
+    assert len(sources[0]) > len(sources[1]) > 0 and not sources[0] & sources[1]
+    assert parts[0][0].columns == parts[0][1].columns == queries()["temporal_features_30"](spark, sf).columns
+
+
 def test_sql_names_every_relation_once():
     text = as_sql("temporal_features_30", {"edges": "SELECT 1 AS src, 2 AS dst, 3 AS time", "vectors": "SELECT 1"})
     assert text.count("src_past AS (") == 1 and "{" not in text
