@@ -117,6 +117,33 @@ def test_agrees_with_duckdb(spark, name):
     assert tidy(tuple(r[c] for c in columns) for r in got.collect()) == tidy(want.select(*columns).fetchall())
 
 
+def test_lightgcn_uses_whole_vectors(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    vectors = [[rng.gauss(0, 1) for _ in range(20)] for _ in range(4)]
+    n = Counter((s, d) for s, d, _ in EDGES)
+    out, into = Counter(s for s, _, _ in EDGES), Counter(d for _, d, _ in EDGES)
+    w = {(s, d): k / math.sqrt(out[s] * into[d]) for (s, d), k in n.items()}
+    layers = [({s: vectors[s % 4] for s in out}, {d: vectors[d % 4] for d in into})]
+    for _ in range(2):
+        a, b = layers[-1]
+        layers.append((
+            {s: [sum(w[s, d] * b[d][i] for d in into if (s, d) in w) for i in range(20)] for s in out},
+            {d: [sum(w[s, d] * a[s][i] for s in out if (s, d) in w) for i in range(20)] for d in into},
+        ))
+    mean = [{k: [sum(x[side][k][i] for x in layers) / 3 for i in range(20)] for k in layers[0][side]} for side in (0, 1)]
+    history = spark.createDataFrame(EDGES, EDGE)
+    queries_ = spark.createDataFrame([(s, d) for s in out for d in into], "src long, cand long")
+    rows = [(k, i, x) for k, v in enumerate(vectors) for i, x in enumerate(v)]
+    p = Plan(spark, history=history, edges=history, queries=queries_, vectors=spark.createDataFrame(rows, "id long, dim long, x double"))
+    got = {(r.side, r.id, r.dim): r.x for r in p["lightgcn_propagate"].collect()}
+    assert got == pytest.approx({(name, k, i): x for name, m in zip(("src", "dst"), mean) for k, v in m.items() for i, x in enumerate(v)}, abs=2e-5)
+    scores = {(r.src, r.cand): r.score for r in p["lightgcn_scores"].collect()}
+    assert scores == pytest.approx({(s, d): sum(x * y for x, y in zip(mean[0][s], mean[1][d])) + 0.01 * into[d] for s in out for d in into}, abs=2e-5)
+
+
 @pytest.mark.parametrize("name", ["gbt_ranker", "pairwise_lr"])
 def test_registered_rankers_learn_on_other_sources(spark, monkeypatch, name):
     import os
