@@ -158,25 +158,31 @@ def learn_rules(labelled: DataFrame, rows: int, label: str = "quality", bad: int
     return rules
 
 
+def _learned(stats: DataFrame, labels: DataFrame, **learning) -> list[Rule]:
+    """The list learned from the rows of stored statistics that have a label."""
+    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id"), "quality").distinct()
+    return learn_rules(stats.join(known, "doc_id"), known.count(), **learning)
+
+
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", **learning) -> tuple[DataFrame, list[Rule]]:
     """Statistics of every row of docs with base_failed and kept, and the learned list.
 
     The rules are learned from docs' rows that have a label.
     """
     stats = store(with_statistics(docs, text), "rules-stats")
-    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id"), "quality").distinct()
-    rules = learn_rules(stats.join(known, "doc_id"), known.count(), **learning)
+    rules = _learned(stats, labels, **learning)
     failed = F.expr(BASE_FAILED)
     return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules)), rules
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+def keep_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs that judge() keeps, with their columns.
 
-    The list is learned from statistics that are kept without texts; rows are
-    then judged one by one, so no text is shuffled at any size.
+    Rows are stored once beside their statistics, from which the list is learned
+    and by which they are then filtered: no statistic is computed twice, and no
+    text is shuffled at any size.
     """
-    _, rules = judge(docs, labels, text)
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("text"))
-    kept = with_statistics(rows, "text", keep=("__row",)).where(~F.expr(BASE_FAILED) & verdict(rules))
-    return kept.select("__row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    stored = store(with_statistics(rows, "text", keep=("__row", "doc_id")), "rules-rows")
+    rules = _learned(stored.drop("__row"), labels)
+    return stored.where(~F.expr(BASE_FAILED) & verdict(rules)).select("__row.*")

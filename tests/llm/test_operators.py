@@ -336,6 +336,20 @@ def test_quality_rules(spark):
     assert none == []
 
 
+def test_kept_documents_are_those_judged_so_with_very_long_texts(spark):
+    docs, labels = quality_fixture(spark)[:2]
+    rng = random.Random(77)
+    long = [(900, prose(rng, 20_000)), (901, "\n".join(prose(rng, 400) for _ in range(50))), (902, prose(rng, 9) + " " + "word " * 20_000)]
+    docs = docs.unionByName(frame(spark, long).select(*docs.columns))
+    judged, rules = quality_rules.judge(docs, labels)
+    kept = quality_rules.keep_documents(docs, labels)
+    assert rules and kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in judged.where("kept").collect())
+    assert {900, 901} <= {r.doc_id for r in kept.collect()} and 902 not in {r.doc_id for r in kept.collect()}
+    # the filter reads stored statistics: nothing that splits texts is part of the plan
+    assert "split(" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pu_classifier(spark):
     docs, labels = quality_fixture(spark)
     got = pu_classifier.score_documents(docs, labels).collect()
