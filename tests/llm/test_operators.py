@@ -202,20 +202,55 @@ def test_lines_of_a_template_unlike_their_leader(spark):
     head = prose(rng, 12)
     lines = [x for k in range(30) for own in [prose(rng, rng.randint(3, 5))] for x in (f"{head} {own}", f"{head} {own[:-4]}{rng.randint(1000, 9999)}")]
     root = union_find(lines, [(a, b) for i, a in enumerate(lines) for b in lines[:i] if jaccard(a, b) >= 0.8])
-    wide = spark.createDataFrame([(i, f"{i:03d}") for i in range(40)], "id long, line string").withColumn("sketch", F.array(F.lit(1), F.lit(2)).cast("array<long>"))
-    pairs = line_dedup._pairs(line_dedup._bands(wide)).cache()
-    # one band: its smallest is like 1 to 9 only; the others are like the one before them
+    # lines of one sketch: the smallest is like 1 to 9 only; the others are like the one before them
+    wide = spark.createDataFrame([(i, f"{i:03d}") for i in range(200)], "id long, line string").withColumn("sketch", F.array(F.lit(1), F.lit(2)).cast("array<long>"))
     near = lambda p: p.where("(a = 0 and b < 10) or (a > 0 and b = a + 1)").select("a", "b")
     kept, line_dedup._verified = line_dedup._verified, lambda p, _: near(p)
     try:
-        found = {r.node: r.component for r in line_dedup._all_links(wide, pairs, near(pairs), wide).collect()}
+        found = {r.node: r.component for r in line_dedup._all_links(wide, lambda _: wide).collect()}
     finally:
         line_dedup._verified = kept
-    assert found == dict.fromkeys(range(40), 0)
+    assert found == dict.fromkeys(range(200), 0)
     got = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(frame(spark, list(enumerate(lines)))).collect()}
     assert got == {i: lines.index(next(y for y in lines if root[y] == root[x])) for i, x in enumerate(lines)}
 
 
+def test_line_recall_by_length(spark):
+    """Edited copies of lines of all lengths, at 0.8 or more: nearly all found, and what is joined follows real links."""
+    rng = random.Random(8)
+
+    def edited(line):
+        x = list(line)
+        for _ in range(rng.choice([1, 1, 2, 4, 8])):
+            at = rng.choice([rng.randrange(len(x)), len(x) - 1, 0])
+            x[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "Z", "7 ", "ab"])
+            x = x or ["q"]
+        return "".join(x)
+
+    spans = [(8, 14), (14, 25), (25, 45), (45, 70), (70, 120), (120, 250), (250, 600), (2000, 3000)]
+    pairs, classes = [], []
+    for k, (low, high) in enumerate(spans):
+        while classes.count(k) < (150 if high < 2000 else 20):
+            a = prose(rng, high // 4)[: rng.randint(low, high - 1)].strip()
+            b = edited(a).strip()
+            if a != b and min(len(a), len(b)) >= 8 and 0.8 <= jaccard(a, b):
+                pairs.append((a, b))
+                classes.append(k)
+    rows = [(i, "\n".join(p)) for i, p in enumerate(pairs)]
+    got = {}
+    for r in line_dedup.line_classes(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add((r.class_doc_id, r.class_line_no))
+    for k in range(len(spans)):
+        own = [len(got[i]) == 1 for i, c in enumerate(classes) if c == k]
+        assert sum(own) >= 0.95 * len(own), (spans[k], sum(own), len(own))
+    whole = sorted({x for p in pairs[-170:] for x in p})  # the longest: no accidental likeness
+    root = union_find(whole, [(a, b) for i, a in enumerate(whole) for b in whole[:i] if jaccard(a, b) >= 0.8])
+    classes_of = defaultdict(set)
+    for r in line_dedup.line_classes(frame(spark, [(i, x) for i, x in enumerate(whole)])).collect():
+        classes_of[r.class_doc_id].add(root[whole[r.doc_id]])
+    assert all(len(x) == 1 for x in classes_of.values())
+
+
 # --- sharding ---
 def brute_pack(sizes, capacity):
     left, home = [], []
