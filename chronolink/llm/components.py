@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolink.llm.common import store
+from chronolink.llm.common import release, store
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,7 +40,8 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     now = store(first.where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct(), "edges")
     state = None
     for _ in range(most_steps):
-        now = store(_star(_star(now, True), False), "edges")
+        before, now = now, store(_star(_star(now, True), False), "edges")
+        release(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state or not seen[0]:
             break
