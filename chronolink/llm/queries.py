@@ -87,12 +87,15 @@ t AS (
   SELECT source, source_size, least(3.0::DOUBLE * source_size, level * w) AS target FROM o, l),
 p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
-         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(3, words // source_size) ELSE 0 END AS epochs FROM p)
 SELECT doc_id, size, source_size, target,
-       (epochs * size + greatest(0, least(size, words - epochs * source_size - start)))::BIGINT AS taken
+       (epochs * size + greatest(0, least(size, words - epochs * source_size - start)))::BIGINT AS taken,
+       -- stretches of 4096-word blocks that the copies meet
+       list_sum(list_transform([0, 1, 2], lambda c: CASE WHEN least(start + c * source_size + size, words) > start + c * source_size
+         THEN (least(start + c * source_size + size, words) - 1) // 4096 - (start + c * source_size) // 4096 + 1 ELSE 0 END))::BIGINT AS n_pieces
 FROM e
 """
 

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small fixtures with nulls, empties, ties and repeated rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -323,6 +324,42 @@ def test_quotas_are_conserved():
         assert max(map(sum, leaves)) - min(map(sum, leaves)) <= 2
 
 
+def test_blocks_are_disjoint_and_fill_the_quotas(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(0, 400)), rng.choice(["a", "a", "a", "b", None])) for i in range(150)]
+    got = mixing.mix_blocks(frame(spark, rows), shards=5, seed=3, block_words=64, bucket_rows=40).collect()
+    source = {i: s for i, _, s in rows}
+    words, homes, target = Counter(), defaultdict(set), {}
+    for r in got:
+        target[source[r.doc_id]] = r.target
+        assert len({(p.copy, p.block) for p in r.pieces}) == len(r.pieces)
+        for p in r.pieces:
+            assert 0 < p.words <= 64
+            words[source[r.doc_id], p.block] += p.words
+            homes[source[r.doc_id], p.block].add(p.shard)
+    order = ["a", "b", None]
+    whole = [int(target[s] + 0.5) for s in order]
+    for s, n in zip(order, whole):  # every block once, by one shard, full but for the last
+        assert {k for x, k in words if x == s} == set(range(-(-n // 64)))
+        assert all(words[s, k] == min(64, n - 64 * k) and len(homes[s, k]) == 1 for k in range(-(-n // 64)))
+    quotas = mixing.split_quotas([-(-n // 64) for n in whole], 5, 3)
+    for shard, leaf in enumerate(quotas):
+        assert leaf == [sum(h == {shard} for (x, _), h in homes.items() if x == s) for s in order]
+
+
+def test_hypergeometric_draws_are_exact():
+    rng = random.Random(10)
+    for good, bad, draws in ((5, 7, 6), (30, 3, 20), (1, 9, 5)):
+        n = 20_000
+        seen = Counter(mixing._hypergeometric(rng, good, bad, draws) for _ in range(n))
+        for k in range(max(0, draws - bad), min(good, draws) + 1):
+            p = math.comb(good, k) * math.comb(bad, draws - k) / math.comb(good + bad, draws)
+            assert abs(seen[k] - n * p) < 5 * (n * p * (1 - p)) ** 0.5 + 1
+    big = [mixing._hypergeometric(rng, 3 * 10**9, 10**9, 2 * 10**9) for _ in range(40)]
+    sd = (2e9 * 0.75 * 0.25 * 0.5) ** 0.5
+    assert abs(sum(big) / 40 - 1.5e9) < 5 * sd / 40**0.5 and len(set(big)) > 30
+
+
 # --- statistics, rules, classifier ---
 def brute_stats(text):
     text = text or ""
