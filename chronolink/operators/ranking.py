@@ -51,11 +51,17 @@ SELECT qid, pos, round((s - min(s) OVER w) / greatest(max(s) OVER w - min(s) OVE
 define("blend_rank", """
 SELECT qid, pos, round(0.45 * (1.0 - CAST(r1 - 1 AS DOUBLE) / greatest(width - 1, 1)) + 0.55 * (1.0 - CAST(r2 - 1 AS DOUBLE) / greatest(width - 1, 1)), 6) AS score FROM {ranked_scores}
 """)
-# Scores of two sources joined by position; a row that one lacks is an error to report.
+# Scores of two sources joined by position; a row that one of them lacks stops the query.
 define("score_files_joined", """
-SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.pos, b.pos) AS pos, a.score AS left_score, b.score AS right_score
+SELECT CASE WHEN a.qid IS NULL THEN CAST('no left row for query ' || CAST(b.qid AS STRING) AS BIGINT) ELSE a.qid END AS qid, coalesce(a.pos, b.pos) AS pos, a.score AS left_score,
+       CASE WHEN b.qid IS NULL THEN CAST('no right row for query ' || CAST(a.qid AS STRING) AS DOUBLE) ELSE b.score END AS right_score
 FROM {blend_weighted} a FULL OUTER JOIN {blend_rank} b ON a.qid = b.qid AND a.pos = b.pos
 """)
+# The last blend: 0.55 and 0.45 of two blends, normalised within the query.
+define("blend_final", """
+SELECT qid, pos, round((s - min(s) OVER w) / greatest(max(s) OVER w - min(s) OVER w, 1e-12), 6) AS score
+FROM (SELECT qid, pos, 0.55 * left_score + 0.45 * right_score AS s FROM {score_files_joined}) b WINDOW w AS (PARTITION BY qid)
+""")
 define("score_validation", """
 SELECT count(DISTINCT qid) AS n_queries, count(*) AS n_scores, min(score) AS lowest, max(score) AS highest,
        CAST(sum(CASE WHEN score IS NULL OR isnan(score) OR score < 0 OR score > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_invalid FROM {blend_weighted}
@@ -76,11 +82,13 @@ SELECT count(*) AS n_queries, round(avg(top1), 6) AS top1_agreement, round(avg(o
          CASE WHEN stddev_pop(s1) > 0 AND stddev_pop(s2) > 0 THEN corr(s1, s2) END AS c
   FROM {ranked_scores} GROUP BY qid) m
 """)
-define("baseline_mrr", """
-SELECT 'pair_popularity' AS feature, round(avg(1e0 / r1), 6) AS mrr FROM {positive_ranks}
-UNION ALL SELECT 'degree' AS feature, round(avg(1e0 / r2), 6) AS mrr FROM {positive_ranks}
-UNION ALL SELECT 'recency' AS feature, round(avg(1e0 / r3), 6) AS mrr FROM {positive_ranks}
+# Transparent baselines: reciprocal ranks of each query's first positive by single features, ties to the smaller position.
+BASELINES = {"pair_count": "pair_count", "dst_degree": "dst_degree_log", "transition": "recent_item_transition_norm", "bipartite_cf": "bipartite_cf_support", "candidate_frequency": "candidate_frequency_log"}
+define("baseline_ranks", "SELECT qid, pos, label, " + ", ".join(f"row_number() OVER (PARTITION BY qid ORDER BY {c} DESC, pos) AS r_{n}" for n, c in BASELINES.items()) + " FROM {temporal_features_30}")
+define("baseline_firsts", """
+SELECT b.* FROM {baseline_ranks} b JOIN (SELECT qid, min(pos) AS pos FROM {temporal_features_30} WHERE label = 1 GROUP BY qid) f ON f.qid = b.qid AND f.pos = b.pos
 """)
+define("baseline_mrr", "\nUNION ALL ".join(f"SELECT '{n}' AS feature, round(avg(1e0 / r_{n}), 6) AS mrr FROM {{baseline_firsts}}" for n in BASELINES))
 # The whole path in one: history of a pair, popularity, normalised score, rank.
 define("pair_history", """
 SELECT qid, pos, src, cand, label, pair_count, pair_recency_log, popularity, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS BIGINT) AS rank FROM (

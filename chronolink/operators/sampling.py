@@ -14,45 +14,67 @@ ANTI JOIN {pair_counts} p ON p.src = e.src AND p.dst = e.dst
 define("positives", "SELECT src, dst AS positive, min(time) AS time FROM {new_links} GROUP BY src, dst")
 # A fixed number drawn without replacement, by a scattered key; the number is the feature.
 define("sample_queries", "SELECT src, positive, time FROM {positives} ORDER BY (src * 7919 + positive * 104729) % 1000003, src, positive LIMIT 1000")
-define("pool", "SELECT DISTINCT cand FROM {queries}")
-define("pool_marked", "SELECT p.cand, CASE WHEN d.dst IS NULL THEN 0 ELSE 1 END AS seen FROM {pool} p LEFT JOIN {dst_counts} d ON d.dst = p.cand")
+# Offered slots, so that a draw follows how often a candidate is offered; numbered in a scattered order.
+define("slots_marked", """
+SELECT q.cand, q.qid, q.pos, CASE WHEN d.dst IS NULL THEN 0 ELSE 1 END AS seen, ((q.qid % 10007) * 7919 + q.pos * 104729 + q.cand * 31) % 10007 AS scatter
+FROM {queries} q LEFT JOIN {dst_counts} d ON d.dst = q.cand
+""")
 # Destinations that the history lacks: every offered id above the known ones.
 for kind, seen in (("unseen", 0), ("seen", 1)):
-    define_numbered(f"pool_{kind}", "cand", f"{{pool_marked}} p WHERE seen = {seen}", "CAST(floor(((cand * 7919) % 10007) / 16) AS BIGINT)", "(cand * 7919) % 10007, cand", "k")
-define("pool_sizes", "SELECT CAST(sum(seen) AS BIGINT) AS n_seen, CAST(sum(1 - seen) AS BIGINT) AS n_unseen FROM {pool_marked}")
+    define_numbered(f"pool_{kind}", "cand, qid, pos, scatter", f"{{slots_marked}} p WHERE seen = {seen}", "CAST(floor(scatter / 16) AS BIGINT)", "scatter, qid, pos", "k")
+define("pool_sizes", "SELECT CAST(sum(seen) AS BIGINT) AS n_seen, CAST(sum(1 - seen) AS BIGINT) AS n_unseen FROM {slots_marked}")
 define("slot_count", "SELECT count(*) AS n FROM {queries}")
 define("draws", " UNION ALL ".join(f"SELECT {i} AS i" for i in range(40)))
-# Quotas of a group of 20: 11 unseen of 19, 1 from the source's past, the rest seen; a short pool is filled from the seen one.
-define("drawn_unseen", """
-SELECT s.src, s.positive, u.cand, 0 AS kind FROM (
-  SELECT q.src, q.positive, (q.src * 31 + q.positive * 17 + d.i) % greatest((SELECT n_unseen FROM {pool_sizes}), 1) AS k
-  FROM {sample_queries} q CROSS JOIN {draws} d WHERE d.i < 11) s
-JOIN {pool_unseen} u ON u.k = s.k WHERE u.cand <> s.positive
+define("many_draws", "SELECT a.i * 40 + b.i AS i FROM {draws} a CROSS JOIN {draws} b")
+
+
+def group_quotas(width: int) -> tuple[int, int]:
+    """Unseen and historical negatives in a group of so many candidates, one of them positive; seen ones fill the rest."""
+    unseen = min(round(width * 0.536), width - 1)
+    return unseen, min(max(1, round(width * 0.02)), width - 1 - unseen)
+
+
+def define_groups(width: int, suffix: str) -> None:
+    """competition_groups + suffix: groups of width candidates; draws repeat until they are distinct, eight for each place."""
+    unseen, past = group_quotas(width)
+    define(f"drawn_unseen{suffix}", f"""
+SELECT src, positive, cand, 0 AS kind, i FROM (
+  SELECT src, positive, cand, i, row_number() OVER (PARTITION BY src, positive ORDER BY i, cand) AS rn FROM (
+    SELECT s.src, s.positive, u.cand, min(s.i) AS i FROM (
+      SELECT q.src, q.positive, d.i, (q.src * 31 + q.positive * 17 + d.i) % greatest((SELECT n_unseen FROM {{pool_sizes}}), 1) AS k
+      FROM {{sample_queries}} q CROSS JOIN {{many_draws}} d WHERE d.i < {8 * unseen + 8}) s
+    JOIN {{pool_unseen}} u ON u.k = s.k WHERE u.cand <> s.positive GROUP BY s.src, s.positive, u.cand) a) b WHERE rn <= {unseen}
 """)
-define("drawn_history", """
-SELECT src, positive, cand, 1 AS kind FROM (
+    define(f"drawn_history{suffix}", f"""
+SELECT src, positive, cand, 1 AS kind, 0 AS i FROM (
   SELECT s.src, s.positive, p.dst AS cand, row_number() OVER (PARTITION BY s.src, s.positive ORDER BY (p.dst * 7919 + s.positive) % 10007, p.dst) AS rn
-  FROM {sample_queries} s JOIN {pair_counts} p ON p.src = s.src WHERE p.dst <> s.positive) r WHERE rn <= 1
+  FROM {{sample_queries}} s JOIN {{pair_counts}} p ON p.src = s.src WHERE p.dst <> s.positive) r WHERE rn <= {past}
 """)
-define("drawn_seen", """
-SELECT r.src, r.positive, r.cand, 2 AS kind, r.i FROM (
+    # pairs of the past come last: they only fill groups that nothing else fills
+    define(f"drawn_seen{suffix}", f"""
+SELECT r.src, r.positive, r.cand, CASE WHEN p.src IS NULL THEN 2 ELSE 3 END AS kind, r.i FROM (
   SELECT s.src, s.positive, u.cand, s.i FROM (
-    SELECT q.src, q.positive, d.i, (q.src * 31 + q.positive * 17 + d.i * 101) % greatest((SELECT n_seen FROM {pool_sizes}), 1) AS k
-    FROM {sample_queries} q CROSS JOIN {draws} d) s
-  JOIN {pool_seen} u ON u.k = s.k WHERE u.cand <> s.positive) r
-ANTI JOIN {pair_counts} p ON p.src = r.src AND p.dst = r.cand
+    SELECT q.src, q.positive, d.i, (q.src * 31 + q.positive * 17 + d.i * 101) % greatest((SELECT n_seen FROM {{pool_sizes}}), 1) AS k
+    FROM {{sample_queries}} q CROSS JOIN {{many_draws}} d WHERE d.i < {8 * width}) s
+  JOIN {{pool_seen}} u ON u.k = s.k WHERE u.cand <> s.positive) r
+LEFT JOIN {{pair_counts}} p ON p.src = r.src AND p.dst = r.cand
 """)
-define("drawn_negatives", """
+    define(f"drawn_negatives{suffix}", f"""
 SELECT src, positive, cand, kind, row_number() OVER (PARTITION BY src, positive ORDER BY kind, i, cand) AS rn FROM (
   SELECT src, positive, cand, min(kind) AS kind, min(i) AS i FROM (
-    SELECT src, positive, cand, kind, 0 AS i FROM {drawn_unseen} UNION ALL SELECT src, positive, cand, kind, 0 AS i FROM {drawn_history}
-    UNION ALL SELECT src, positive, cand, kind, i FROM {drawn_seen}) a GROUP BY src, positive, cand) b
+    SELECT src, positive, cand, kind, i FROM {{drawn_unseen{suffix}}} UNION ALL SELECT src, positive, cand, kind, i FROM {{drawn_history{suffix}}}
+    UNION ALL SELECT src, positive, cand, kind, i FROM {{drawn_seen{suffix}}}) a GROUP BY src, positive, cand) b
 """)
-define("competition_groups", """
+    define(f"competition_groups{suffix}", f"""
 SELECT src, positive, cand, label, kind, CAST(row_number() OVER (PARTITION BY src, positive ORDER BY (cand * 7919) % 10007, cand) - 1 AS BIGINT) AS pos FROM (
-  SELECT src, positive, cand, 0 AS label, kind FROM {drawn_negatives} WHERE rn <= 19
-  UNION ALL SELECT src, positive, positive AS cand, 1 AS label, 3 AS kind FROM {sample_queries}) g
+  SELECT src, positive, cand, 0 AS label, kind FROM {{drawn_negatives{suffix}}} WHERE rn <= {width - 1}
+  UNION ALL SELECT src, positive, positive AS cand, 1 AS label, 4 AS kind FROM {{sample_queries}}) g
 """)
+
+
+define_groups(20, "")
+define_groups(100, "_100")
+define_groups(5, "_5")
 # Distinct draws from the candidate slots, weighted by frequency.
 define_numbered("slots", "cand, qid, pos", "{queries} q", "CAST(floor(qid / 100000000000) AS BIGINT)", "qid, pos", "k")
 define("simple_groups", """

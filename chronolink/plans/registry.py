@@ -24,8 +24,8 @@ BUY = """
 src_profile dst_profile pair_profile item_transitions inter_event_gaps id_compaction unseen_counts id_maxima candidate_frequency row_prefix split_boundary
 asof_recency windowed_popularity hawkes_intensity pair_due transition_support bipartite_cf common_neighbors pair_count_pctile freq_trend
 temporal_features_30 tree_features_35 tree_features_static temporal_precondition stat_score candidate_distribution recent_neighbors recent_dst_neighbor
-new_links sample_queries competition_groups simple_groups uniform_negatives popularity_negatives
-minmax_rows masked_minmax hard_rules rank_scores blend_weighted blend_rank score_files_joined score_validation
+new_links sample_queries competition_groups competition_groups_100 competition_groups_5 simple_groups uniform_negatives popularity_negatives
+minmax_rows masked_minmax hard_rules rank_scores blend_weighted blend_rank blend_final score_files_joined score_validation
 ap_and_auc ranking_metrics metrics_by_bin model_comparison baseline_mrr pair_history
 embedding_dot lightgcn_propagate lightgcn_scores item_cosine_cf decayed_item_cf user_cf_votes basket_cooccurrence reciprocal_links
 candidate_window_freq query_group_stats oof_folds rolling_windows ppr sketch_collaborative

@@ -97,7 +97,7 @@ def test_every_query_has_sql_and_every_input_is_known():
     assert len(BUY) == len(set(BUY)) and set(EVENTS) <= set(BUY)
 
 
-@pytest.mark.parametrize("name", ["pair_history", "src_profile", "stat_score", "competition_groups", "lightgcn_scores", "evt_hawkes_intensity"])
+@pytest.mark.parametrize("name", ["pair_history", "src_profile", "stat_score", "competition_groups", "competition_groups_100", "competition_groups_5", "baseline_mrr", "blend_final", "lightgcn_scores", "evt_hawkes_intensity"])
 def test_agrees_with_duckdb(spark, name):
     import os
 
@@ -117,6 +117,58 @@ def test_agrees_with_duckdb(spark, name):
     assert tidy(tuple(r[c] for c in columns) for r in got.collect()) == tidy(want.select(*columns).fetchall())
 
 
+def test_group_quotas():
+    from chronolink.operators.sampling import group_quotas
+
+    assert [group_quotas(n) for n in (100, 50, 20, 5)] == [(54, 2), (27, 1), (11, 1), (3, 1)]
+
+
+def test_groups_follow_their_quotas_and_draw_by_frequency(spark):
+    """Groups of 20 over a log of 60 destinations, 30 of them with a past, and offers of which one unseen id has most."""
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(4)
+    history = [(s, rng.randint(1, 30), t) for t in range(300) for s in [rng.randint(1, 12)]]
+    known = {(s, d) for s, d, _ in history}
+    offers = [(s, c, 400 + k) for k in range(40) for s in range(1, 13) for c in (31, 31, 31, rng.randint(32, 60), rng.randint(1, 30))]
+    rows = [(k, s, t, k % 5, c, 0) for k, (s, c, t) in enumerate(offers)]
+    wanted = [(s, d) for s in range(1, 13) for d in range(1, 31) if (s, d) not in known][:20]
+    p = Plan(
+        spark, history=spark.createDataFrame(history, EDGE), edges=spark.createDataFrame(history, EDGE),
+        queries=spark.createDataFrame(rows, "qid long, src long, time long, pos long, cand long, label int"),
+        sample_queries=spark.createDataFrame([(s, d, 350) for s, d in wanted], "src long, positive long, time long"),
+    )
+    groups, often = defaultdict(list), Counter()
+    for r in p["competition_groups"].collect():
+        groups[r.src, r.positive].append(r)
+    assert set(groups) == set(wanted)
+    for (src, positive), rs in groups.items():
+        assert len(rs) == 20 == len({r.cand for r in rs}) and [r.cand for r in rs if r.label] == [positive]
+        kinds = Counter(r.kind for r in rs)
+        assert (kinds[0], kinds[1], kinds[2] + kinds[3], kinds[4]) == (11, 1, 7, 1)
+        assert all((r.cand > 30) == (r.kind == 0) and ((src, r.cand) in known) == (r.kind in (1, 3)) for r in rs if not r.label)
+        often.update(r.cand for r in rs if r.kind == 0)
+    assert often[31] == max(often.values()) > 0.9 * len(wanted)
+
+
+def test_baselines_rank_single_features(spark):
+    features = [(1, 0, 0, 5.0), (1, 1, 1, 5.0), (1, 2, 0, 7.0), (2, 0, 1, 1.0), (2, 1, 1, 9.0), (2, 2, 0, 0.0)]
+    names = ("pair_count", "dst_degree_log", "recent_item_transition_norm", "bipartite_cf_support", "candidate_frequency_log")
+    given = spark.createDataFrame(features, "qid long, pos long, label int, x double").selectExpr("qid", "pos", "label", *[f"{'-' if n == 'dst_degree_log' else ''}x AS {n}" for n in names])
+    got = {r.feature: r.mrr for r in Plan(spark, temporal_features_30=given)["baseline_mrr"].collect()}
+    assert got == pytest.approx({"pair_count": (1 / 3 + 1 / 2) / 2, "dst_degree": (1 / 2 + 1 / 2) / 2, "transition": 5 / 12, "bipartite_cf": 5 / 12, "candidate_frequency": 5 / 12}, abs=1e-6)
+
+
+def test_score_files_of_different_rows_stop_the_join(spark):
+    scores = "qid long, pos long, score double"
+    a, b = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.0), (1, 2, 1.0)], scores), spark.createDataFrame([(1, 0, 0.0), (1, 1, 1.0), (1, 2, 1.0)], scores)
+    assert [r.score for r in Plan(spark, blend_weighted=a, blend_rank=b)["blend_final"].orderBy("pos").collect()] == pytest.approx([0.0, (0.45 - 0.275) / 0.725, 1.0], abs=1e-6)
+    for x, y in ((a, b.where("pos < 2")), (a.where("pos < 2"), b)):
+        with pytest.raises(Exception, match="row for query"):
+            Plan(spark, blend_weighted=x, blend_rank=y)["score_files_joined"].collect()
+
+
 def test_lightgcn_uses_whole_vectors(spark):
     import random
     from collections import Counter
