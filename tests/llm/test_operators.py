@@ -216,6 +216,26 @@ def test_lines_of_a_template_unlike_their_leader(spark):
     assert got == {i: lines.index(next(y for y in lines if root[y] == root[x])) for i, x in enumerate(lines)}
 
 
+def test_folds_rule_out_no_similar_pair(spark):
+    """The bound before verification passes every pair at 0.8 or more and stops most others; empty tables give none."""
+    rng = random.Random(9)
+    lines = []
+    for n in (8, 12, 30, 80, 200, 600):
+        for _ in range(6):
+            x = (prose(rng, n) + "x" * n)[:n]
+            cuts = [0, 1, max(1, n // 40), max(1, n // 12), n // 3]
+            lines += [x] + [x[c:] + "q7" for c in cuts] + [x[: n // 2] + "z" * c + x[n // 2 + c :] for c in cuts]
+    lines = sorted(set(lines) | {"aaaaaaaa", "a" * 300, "abc"})
+    folded = line_dedup._folded(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    every = [(a, b) for b in range(len(lines)) for a in range(b)]
+    pairs = spark.createDataFrame(every, "a long, b long")
+    got = {(r.a, r.b) for r in line_dedup._possible_pairs(pairs, folded).collect()}
+    alike = {(a, b) for a, b in every if jaccard(lines[a], lines[b]) >= 0.8}
+    assert alike and alike <= got
+    assert len(got) < len(every) / 4
+    assert line_dedup._possible_pairs(pairs.limit(0), folded).count() == 0
+
+
 def test_line_recall_by_length(spark):
     """Edited copies of lines of all lengths, at 0.8 or more: nearly all found, and what is joined follows real links."""
     rng = random.Random(8)
