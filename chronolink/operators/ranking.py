@@ -5,7 +5,7 @@ Ties go to the smaller position.
 
 from __future__ import annotations
 
-from chronolink.plans.relational import define
+from chronolink.plans.relational import CATALOG, define, define_spark, define_stored
 
 # Plain scorers over the history, as inputs to blends and comparisons.
 define("scores", """
@@ -89,6 +89,10 @@ define("baseline_firsts", """
 SELECT b.* FROM {baseline_ranks} b JOIN (SELECT qid, min(pos) AS pos FROM {temporal_features_30} WHERE label = 1 GROUP BY qid) f ON f.qid = b.qid AND f.pos = b.pos
 """)
 define("baseline_mrr", "\nUNION ALL ".join(f"SELECT '{n}' AS feature, round(avg(1e0 / r_{n}), 6) AS mrr FROM {{baseline_firsts}}" for n in BASELINES))
+# Spark finds each query's first positive in the pass that ranks, and keeps these rows for the five means.
+define_stored("baseline_kept", "SELECT qid, pos, label, " + ", ".join(f"r_{n}" for n in BASELINES) + """ FROM (
+  SELECT *, min(CASE WHEN label = 1 THEN pos END) OVER (PARTITION BY qid) AS first_pos FROM {baseline_ranks}) b WHERE pos = first_pos""")
+define_spark("baseline_mrr", CATALOG["baseline_mrr"].sql.replace("{baseline_firsts}", "{baseline_kept}"))
 # The whole path in one: history of a pair, popularity, normalised score, rank.
 define("pair_history", """
 SELECT qid, pos, src, cand, label, pair_count, pair_recency_log, popularity, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS BIGINT) AS rank FROM (
