@@ -553,3 +553,23 @@ def test_remove_repeats(spark):
     got = substring_dedup.remove_repeats(frame(spark, rows), 50).collect()
     assert Counter(map(tuple, got)) == brute_removed(rows, 50)
     assert substring_dedup.remove_repeats(frame(spark, rows).limit(0), 50).count() == 0
+
+
+def test_lm_makes_inputs_once_for_many_batches(spark, monkeypatch):
+    """op8: counts of slots are those of every bit of every word, and learning looks slots up for thousands of words at once, not for 64."""
+    import numpy as np
+
+    from chronolink.llm import lm
+
+    words = [f"w{i % 701}x{i}".encode() for i in range(2000)] + [lm.END]
+    got = lm.slot_counts(spark.createDataFrame([(bytearray(w), 1) for w in words], "word binary, c long"), 2)
+    want = np.zeros((2, lm.SLOTS))
+    for _, slots, bit in lm.Bits(words).rounds():
+        for s in slots:
+            np.add.at(want, (bit.astype(int), s), 1)
+    assert (got == want).all()
+    model, calls, inputs = lm.Mixer.fresh(got), [], lm.Mixer.inputs
+    monkeypatch.setattr(lm.Mixer, "inputs", lambda *a: calls.append(1) or inputs(*a))
+    first, again = model.learn(words, 0.02), model.learn(words, 0.02)
+    assert again < first and len(calls) == 16
+    assert [len(x) for x in lm._stretches([b"a" * 9, b"b" * 300, b"c", b"d"], 3, 50)] == [1, 1, 2]
